@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansight.llm import bpe, chat, mixing
-from plansight.llm.common import read
+from plansight.llm import bpe, chat, hilbert, langid, line_crf, line_dedup, mixing, near_dedup, quality, toxicity
+from plansight.llm.common import fold, read
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,32 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), fold("doc_id", 3) == 1
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), learn=~held_out)
+    scored = docs.select("doc_id", toxicity.toxicity(model, "text").alias("score"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    judged = docs.select("doc_id", line_crf.verdict(line_crf.train(docs), "text").alias("v"))
+    return judged.select("doc_id", *[f"v.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
+    model = langid.train(docs, learn=~held_out)
+    found = docs.select("doc_id", langid.language(model, "text").alias("p"))
+    return found.select("doc_id", held_out.alias("held_out"), "p.lang_pred", "p.score")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), "text")
+    done = line_dedup.deduplicate(docs, gone="removed_lines")
+    return done.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", "text")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = r"\### Assistant: </turn> ok"
     turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
@@ -88,9 +114,33 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT * size)::BIGINT AS taken FROM rated
 """
 
+
+def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    model = quality.train(docs, read(spark, sf_dir, "labels"), learn=~held_out)
+    scored = docs.select("doc_id", quality.quality(model, "text").alias("score"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.AT_THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return hilbert.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
+    "op5_line_dedup": op5_line_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_mix_sources": op7_mix_sources,
+    "op8_quality_ranking": op8_quality_ranking,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "op7_mix_sources": OP7_SQL}
