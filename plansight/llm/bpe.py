@@ -7,7 +7,7 @@ first, which is the pair of the lowest rank, as byte-level BPE does.
 
 Defined results: a null text is an empty one and has no ids; texts may be of any length; the
 ids depend on the text alone, so repeated rows agree; empty tables give empty tables; other
-columns of a table pass through, as both operations are column expressions.
+columns of a table pass through, and one that has the new column's name is replaced.
 """
 
 from __future__ import annotations
@@ -15,17 +15,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Byte b is written as the character U+0100 + b: a letter that no normaliser or splitter treats specially.
 _CHARACTERS = {b: chr(0x100 + b) for b in range(256)}
 #: Pre-tokens that a worker remembers, and the longest of them. The memory forgets all when it is full.
 REMEMBERED, LONGEST = 1 << 17, 48
+#: Rows that are worked on at a time.
+STEP = 256
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -121,10 +124,11 @@ class Codec:
 
 
 class ByteBpe:
-    """Column expressions that encode and decode by one vocabulary.
+    """Encodes and decodes columns of tables by one vocabulary.
 
     Only the driver reads the rank file. Its tokens and the model go to the executors as a
     broadcast, whose size the vocabulary bounds (about 1.5 MB for 50,000 tokens), not the data.
+    Rows pass through a few at a time, so a worker holds little beside the batch it was given.
     """
 
     def __init__(self, spark: SparkSession, path: str, pattern: str) -> None:
@@ -133,29 +137,29 @@ class ByteBpe:
         self._key = hashlib.sha256(model + pattern.encode()).hexdigest()
         self._parts = spark.sparkContext.broadcast((tokens, model, pattern))
 
-    def encode(self, text: Column | str) -> Column:
-        """Binary column of ids."""
-        key, parts = self._key, self._parts
+    def encode(self, table: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
+        """The table with the ids in place of the text; a column that had the ids' name goes."""
+        return self._mapped(table, text, ids, Codec.encode)
 
-        @F.pandas_udf("binary")
-        def encode_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            codec = _codec(key, parts)
-            for batch in batches:
-                yield pd.Series([codec.encode(x) for x in batch], dtype=object)
+    def decode(self, table: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+        """The table with the bytes that the ids stand for in place of the ids; null ids give none."""
+        return self._mapped(table, ids, decoded, Codec.decode)
 
-        return encode_ids(text)
-
-    def decode(self, ids: Column | str) -> Column:
-        """Binary column of the bytes that the ids stand for; null ids give none."""
+    def _mapped(self, table: DataFrame, old: str, new: str, work: Callable) -> DataFrame:
         key, parts = self._key, self._parts
+        others = [c for c in table.columns if c not in (old, new)]
 
-        @F.pandas_udf("binary")
-        def decode_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _codec(key, parts)
             for batch in batches:
-                yield pd.Series([codec.decode(x) for x in batch], dtype=object)
-
-        return decode_ids(ids)
+                for at in range(0, batch.num_rows, STEP):
+                    part = batch.slice(at, STEP)
+                    made = pa.array([work(codec, x) for x in part.column(len(others)).to_pylist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], [*others, new])
+
+        picked = table.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{old}`"))
+        schema = T.StructType([*picked.schema.fields[:-1], T.StructField(new, T.BinaryType())])
+        return picked.mapInArrow(rows, schema)
 
 
 _CODECS: dict[str, Codec] = {}
