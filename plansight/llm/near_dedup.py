@@ -38,6 +38,9 @@ HASHES, BATCH, EARLY = 128, 16, 64
 #: Most nodes in a block of a bucket, and most texts in a block of a group.
 BUCKET_BLOCK, GROUP_BLOCK, PIVOTS = 1024, 512, 4
 
+#: Ids up to which their table is broadcast (8 bytes an id).
+BROADCAST_ROWS = 1_000_000
+
 _SEEDS = mix64(np.arange(1, 2 * (BANDS * ROWS + HASHES) + 1, dtype=np.uint64)).reshape(2, -1)
 _XOR, _TIMES = _SEEDS[0], _SEEDS[1] | np.uint64(1)
 
@@ -278,7 +281,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         pivots.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node")
     )
     placed = placed.distinct().select("g", "block", "node", F.col("node").alias("component"), F.lit(None).cast("boolean").alias("minor"))
-    written = texts.withColumnRenamed("doc_id", "node").filter(F.col("text").isNotNull())
+    # only grouped texts are needed, twice; ids counted to be few go to the texts, else both are shuffled
+    few = sized.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    wanted = sized.select(F.col("node").alias("doc_id"))
+    written = texts.filter(F.col("text").isNotNull()).join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+    written = scratch.save(written.withColumnRenamed("doc_id", "node"), "written")
     links = scratch.save(_run(placed.join(written, "node").select("g", "block", "node", "component", "minor", "text"), ["g", "block"], _exact), "links")
     components = scratch.save(connected_components(links, scratch, "first"), "components")
 
