@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plansight.llm.common import trim
+
 #: Byte b is written as the character U+0100 + b: a letter that no normaliser or splitter treats specially.
 _CHARACTERS = {b: chr(0x100 + b) for b in range(256)}
 #: Pre-tokens that a worker remembers, and the longest of them. The memory forgets all when it is full.
-REMEMBERED, LONGEST = 1 << 17, 48
+REMEMBERED, LONGEST = 1 << 16, 48
 #: Rows that are worked on at a time.
 STEP = 256
 
@@ -139,26 +141,35 @@ class ByteBpe:
 
     def encode(self, table: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """The table with the ids in place of the text; a column that had the ids' name goes."""
-        return self._mapped(table, text, ids, Codec.encode)
+        return self._mapped(table, text, {ids: Codec.encode})
 
     def decode(self, table: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
         """The table with the bytes that the ids stand for in place of the ids; null ids give none."""
-        return self._mapped(table, ids, decoded, Codec.decode)
+        return self._mapped(table, ids, {decoded: Codec.decode})
+
+    def encode_and_decode(self, table: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+        """Both in one pass of one worker: the ids, and the bytes decoded from these ids."""
+        return self._mapped(table, text, {ids: Codec.encode, decoded: Codec.decode})
 
-    def _mapped(self, table: DataFrame, old: str, new: str, work: Callable) -> DataFrame:
+    def _mapped(self, table: DataFrame, old: str, steps: dict[str, Callable]) -> DataFrame:
+        """The table with a column for each step in place of the old one; each step works on what the one before it made."""
         key, parts = self._key, self._parts
-        others = [c for c in table.columns if c not in (old, new)]
+        others = [c for c in table.columns if c not in (old, *steps)]
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _codec(key, parts)
             for batch in batches:
                 for at in range(0, batch.num_rows, STEP):
                     part = batch.slice(at, STEP)
-                    made = pa.array([work(codec, x) for x in part.column(len(others)).to_pylist()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], [*others, new])
+                    values, made = part.column(len(others)).to_pylist(), []
+                    for work in steps.values():
+                        values = [work(codec, x) for x in values]
+                        made.append(pa.array(values, pa.binary()))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*others, *steps])
+            trim()
 
         picked = table.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{old}`"))
-        schema = T.StructType([*picked.schema.fields[:-1], T.StructField(new, T.BinaryType())])
+        schema = T.StructType([*picked.schema.fields[:-1], *[T.StructField(name, T.BinaryType()) for name in steps]])
         return picked.mapInArrow(rows, schema)
 
 

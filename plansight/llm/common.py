@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -9,6 +11,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,13 @@ def ship(spark: SparkSession) -> None:
     context._plansight_shipped = True
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, as a Python worker stays for later tasks beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Scratch:
     """Parquet tables in the folder that ``spark.checkpoint.dir`` names.
 
@@ -149,7 +159,7 @@ def window_hashes(hashes: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.
     return mix64(joined[whole]), owner[:count][whole]
 
 
-def packed(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def packed(texts: Iterable[str | None], most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Texts as bytes, a few at a time: index of the first, the bytes and the bounds. Null is empty.
 
     Each pack holds one text or at most ``most`` bytes, which bounds the temporary arrays.

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plansight.llm.common import trim
+
 #: Most training texts of a language and of all; landmarks; symbols; ridge.
 PER_LANGUAGE, IN_ALL, LANDMARKS, SYMBOLS, RIDGE = 500, 4000, 200, 64, 1e-3
 _SPACE, _DIGIT, _OTHER = 1, 2, 3
@@ -146,5 +148,6 @@ def language(model: KernelModel, text: Column | str) -> Column:
         for batch in batches:
             names, scores = model.predict(batch.tolist())
             yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": scores})
+        trim()
 
     return predict(text)

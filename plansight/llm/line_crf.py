@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plansight.llm.common import packed
+from plansight.llm.common import packed, trim
 from plansight.llm.textstats import Lines, measure
 
 #: Most training documents; share of words in content lines from which a document is kept; fewest words; most repeated words of 100.
@@ -173,5 +173,6 @@ def verdict(chain: Chain, text: Column | str) -> Column:
         for batch in batches:
             parts = [judge(chain, data, bounds) for _, data, bounds in packed(batch)]
             yield pd.concat(parts, ignore_index=True) if parts else judge(chain, np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        trim()
 
     return decide(text)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plansight.llm.common import Scratch, mix64, shingle_sets
+from plansight.llm.common import Scratch, mix64, shingle_sets, trim
 from plansight.llm.graph import connected_components
 
 #: Words in a shingle; similarity of a link, as a fraction; miss probability of a comparison.
@@ -105,6 +105,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
             columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "fp1", "fp2", "bands", "sig"])
+    trim()
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -187,6 +188,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             src, dst = [], []
     settle()
     yield _edges(src, dst)
+    trim()
 
 
 def linked(left: np.ndarray, right: np.ndarray) -> bool:

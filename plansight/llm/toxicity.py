@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plansight.llm.common import trim
 from plansight.llm.samples import labelled
 
 #: Most training documents of each label; documents in which a feature must stand; z-score from which a feature gets a weight.
@@ -165,6 +166,7 @@ def toxicity(model: SentenceModel, text: Column | str) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([model.score(x) for x in batch], dtype="float64")
+        trim()
 
     return score(text)
 
