@@ -99,7 +99,7 @@ def presence(alphabet: Alphabet, texts: list[str], codes: np.ndarray) -> tuple[n
 
 def fit(sample: pd.DataFrame) -> KernelModel:
     """Fits to (text, lang)."""
-    sample = sample[[bool(x) and any(c.isalpha() for c in x) for x in sample["text"]]]
+    sample = sample[np.array([bool(x) and any(c.isalpha() for c in x) for x in sample["text"]], bool)]
     languages = sorted(set(sample["lang"]))
     if not languages:
         return KernelModel(None, np.zeros(0, np.int64), np.zeros((0, 0)), [])
