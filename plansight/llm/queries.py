@@ -41,7 +41,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), "text")
-    done = line_dedup.deduplicate(docs, gone="removed_lines")
+    done = line_dedup.deduplicate(docs, gone="removed_lines", least_words=1)
     return done.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", "text")
 
 
