@@ -35,6 +35,8 @@ WORDS, SHARE, MISS = 5, (75, 100), 1e-4
 BANDS, ROWS = 24, 4
 #: Hashes of the verification, those of a batch, and those that travel with the candidates.
 HASHES, BATCH, EARLY = 128, 16, 64
+#: Times that a pair may be looked at, by which its miss probability is divided: a pair at the threshold is pruned at any of them once in 18,000 times.
+LOOKS = (HASHES + EARLY) // BATCH
 #: Most nodes in a block of a bucket, and most texts in a block of a group.
 BUCKET_BLOCK, GROUP_BLOCK, PIVOTS = 1024, 512, 4
 
@@ -78,7 +80,7 @@ def surviving(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray)
         for part in range(0, len(i), 1 << 16):
             at = slice(part, part + (1 << 16))
             matches[at] += (left[i[at], k : k + BATCH] == right[j[at], k : k + BATCH]).sum(1, dtype=np.int32)
-        keep = matches >= least_matches(min(k + BATCH, left.shape[1]))
+        keep = matches >= least_matches(min(k + BATCH, left.shape[1]), miss=MISS / LOOKS)
         i, j, matches = i[keep], j[keep], matches[keep]
     return i, j, matches
 
