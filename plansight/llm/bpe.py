@@ -27,6 +27,7 @@ from plansight.llm.common import trim
 
 #: Byte b is written as the character U+0100 + b: a letter that no normaliser or splitter treats specially.
 _CHARACTERS = {b: chr(0x100 + b) for b in range(256)}
+_BYTES = {character: b for b, character in _CHARACTERS.items()}
 #: Pre-tokens that a worker remembers, and the longest of them. The memory forgets all when it is full.
 REMEMBERED, LONGEST = 1 << 16, 48
 #: Rows that are worked on at a time.
@@ -82,10 +83,11 @@ class Codec:
         import regex
         import sentencepiece
 
-        self._tokens = tokens
         self._ranks = {token: rank for rank, token in enumerate(tokens)}
         self._find = regex.compile(pattern).findall
         self._processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        # the model's own pieces, each mapped back to its bytes once
+        self._spelt = [bytes(map(_BYTES.__getitem__, self._processor.id_to_piece(k))) for k in range(self._processor.get_piece_size()) if not self._processor.is_unknown(k)]
         self._memory: dict[str, bytes] = {}
 
     def _spell(self, pre_token: str) -> str:
@@ -122,7 +124,8 @@ class Codec:
         return b"".join(map(memory.__getitem__, pre_tokens))
 
     def decode(self, ids: bytes | None) -> bytes:
-        return b"".join(map(self._tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+        """The bytes that the ids' pieces spell, by the inverse of the bytes' characters."""
+        return b"".join(map(self._spelt.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
 class ByteBpe:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plansight.sources.scratch import Scratch
+
 #: A word is a run of bytes other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,60 +51,9 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-class Scratch:
-    """Parquet tables in the folder that ``spark.checkpoint.dir`` names.
-
-    A written table cuts the lineage: after the loss of an executor, Spark reads it again
-    instead of running what made it. Where the setting is missing, a folder of this machine
-    serves a local session (tests); on a cluster that is an error, as executors would each
-    write to their own disks. What is not dropped before is deleted when Python ends.
-    """
-
-    #: At the end of an execution that writes a table, Spark deletes the shuffle files it needed.
-    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        context = spark.sparkContext
-        base = context.getConf().get("spark.checkpoint.dir", None)
-        if not base:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="plansight-")
-            if context.getCheckpointDir() is None:
-                context.setCheckpointDir(base)
-        self.base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._end)
-
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
-        path, before = f"{self.base}/{name}", self.spark.conf.get(self.CLEAN, "false")
-        self.spark.conf.set(self.CLEAN, "true")
-        try:
-            frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.set(self.CLEAN, before)
-        return self.spark.read.schema(frame.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Deletes tables that nothing will read again, as their files count against the shared folder."""
-        for name in names:
-            self._delete(f"{self.base}/{name}")
-
-    def _delete(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def _end(self) -> None:
-        if self.spark.sparkContext._jsc is not None:
-            with contextlib.suppress(Exception):  # the session may be gone already
-                self._delete(self.base)
-
-
 # --- hashing of words and shingles, over the bytes of many texts at once ---------------------
 
 _MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _JOIN = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -118,35 +67,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
-_VALUE_LOWER = _VALUE.copy()
-_VALUE_LOWER[65:91] = _VALUE[97:123]
-
+_AS_IS = np.arange(256, dtype=np.uint64)
+_LOWER = _AS_IS.copy()
+_LOWER[65:91] += 32
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown when a longer text comes."""
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the bytes from each start to its end; the spans ascend and do not overlap.
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << n.bit_length()
-            for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
+    A hash is the sum of a mixed value for every byte and its place in the span, so it follows
+    no polynomial that periodic or Thue-Morse texts would cancel in.
+    """
+    n = len(data)
+    begin = np.zeros(n + 1, np.int64)
+    begin[starts] = starts
+    place = np.arange(n, dtype=np.int64) - np.maximum.accumulate(begin[:n]) if n else begin[:0]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix64((place.astype(np.uint64) << np.uint64(8)) | (_LOWER if lower else _AS_IS)[data]), out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) + (ends - starts).astype(np.uint64) * _JOIN)
 
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of several texts that lie in ``data``, text i from bounds[i] to bounds[i+1].
 
-    Returns the hashes, and each word's text, start and end. Equal words have equal hashes
-    wherever they stand: a polynomial hash from prefix sums, shifted back by an inverse power.
+    Returns the hashes, and each word's text, start and end. Equal words have equal hashes wherever they stand.
     """
     n = len(data)
     space = _SPACE[data]
@@ -160,11 +104,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tu
     after[:-1] = space[1:]
     starts = np.flatnonzero(~space & (before | edge[:n]))
     ends = np.flatnonzero(~space & (after | edge[1:])) + 1
-    up, down = _POWERS.upto(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_VALUE_LOWER if lower else _VALUE)[data] * up[:n], out=sums[1:])
-    hashes = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _JOIN)
-    return hashes, np.searchsorted(bounds, starts, side="right") - 1, starts, ends
+    return span_hashes(data, starts, ends, lower), np.searchsorted(bounds, starts, side="right") - 1, starts, ends
 
 
 def window_hashes(hashes: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

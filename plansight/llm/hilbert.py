@@ -101,11 +101,11 @@ def _nearest(most: int):
             q = _vectors(some["vec"].tolist())
             rough = squares[None] - 2 * (q @ p.T) + (q * q).sum(1)[:, None]
             rough[np.abs(places[None] - some["place"].to_numpy()[:, None]) > some["window"].to_numpy()[:, None]] = np.inf
-            # some more than asked for, as rounding may exchange close ones
-            take = min(most + 6, len(p))
-            near = np.argpartition(rough, take - 1, axis=1)[:, :take]
+            # all that rounding may have exchanged with the last one asked for, and so all that tie with it
+            slack = 8e-16 * (p.shape[1] + 8) * (squares.max() + (q * q).sum(1))
+            last = np.partition(rough, min(most, len(p)) - 1, axis=1)[:, min(most, len(p)) - 1] + slack
             for k, query in enumerate(some["uid"].to_numpy()):
-                chosen = near[k][np.isfinite(rough[k, near[k]])]
+                chosen = np.flatnonzero((rough[k] <= last[k]) & np.isfinite(rough[k]))
                 exact = np.sqrt(((p[chosen] - q[k]) ** 2).sum(1))
                 best = np.lexsort((uid[chosen], exact))[:most]
                 out.append(pd.DataFrame({"query": np.full(len(best), query), "uid": uid[chosen][best], "distance": exact[best]}))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plansight.llm.common import packed, trim
+from plansight.llm.samples import texts_of
 from plansight.llm.textstats import Lines, measure
 
 #: Most training documents; share of words in content lines from which a document is kept; fewest words; most repeated words of 100.
@@ -144,9 +145,8 @@ def fit(texts: list[str], steps: int = 150, rate: float = 0.1, ridge: float = 1e
 
 def train(docs: DataFrame) -> Chain:
     """Fits on at most SAMPLE documents, chosen by a hash of the id."""
-    chosen = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").limit(2 * SAMPLE).toPandas()
-    return fit(found.sort_values(["doc_id", "text"])["text"].tolist())
+    chosen = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("place")).orderBy("place", "doc_id").limit(SAMPLE).distinct()
+    return fit(texts_of(docs, chosen)["text"].tolist())
 
 
 VERDICT = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,content_words:long,content_lines:long,lines:long,base_failed:boolean,kept:boolean>"

@@ -4,11 +4,14 @@ Texts with the same set of shingles become one node. Nodes that share a band of
 candidates. Their signatures, of hashes that the bands do not use, are compared a batch at a
 time: a pair is dropped as soon as the posterior chance that its similarity reaches the
 threshold falls below ``MISS``. Pairs that survive the first batches join their nodes to groups,
-and within a group the pairs that survive all batches are verified on the full sets of shingles.
+and within a group the pairs that survive all batches are verified on the full sets of shingles,
+which are sequences of words there and not hashes.
 
-A group is worked on in blocks of a bounded number of texts. Pairs of nodes that are already
-connected need no check, so a group of copies of one text costs time in proportion to its size;
-what the blocks leave unconnected is compared with the whole group, again in blocks.
+A bucket's pivot meets all others first, and only what this leaves outside the pivot's component
+meets the rest, in blocks. A group is worked on in blocks of a bounded number of texts and
+shingles. Pairs of nodes that are already connected need no check, so a bucket or a group of
+copies of one text costs time in proportion to its size; what the blocks leave unconnected is
+compared with the whole group, again in blocks.
 
 Defined results: null and empty texts, and those without words, have no shingles and stand
 alone; a text of fewer than five words is one shingle; texts of any length are read whole; rows
@@ -37,8 +40,8 @@ BANDS, ROWS = 24, 4
 HASHES, BATCH, EARLY = 128, 16, 64
 #: Times that a pair may be looked at, by which its miss probability is divided: a pair at the threshold is pruned at any of them once in 18,000 times.
 LOOKS = (HASHES + EARLY) // BATCH
-#: Most nodes in a block of a bucket, and most texts in a block of a group.
-BUCKET_BLOCK, GROUP_BLOCK, PIVOTS = 1024, 512, 4
+#: Most nodes in a block of a bucket, most texts and shingles in a block of a group, and the group's nodes that stand in every block.
+BUCKET_BLOCK, GROUP_BLOCK, BLOCK_SHINGLES, PIVOTS = 1024, 512, 1_000_000, 4
 
 #: Ids up to which their table is broadcast (8 bytes an id).
 BROADCAST_ROWS = 1_000_000
@@ -160,58 +163,67 @@ def _stars(count: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, pair, node, sig) sorted by key and pair: stars of the nodes whose early hashes survive."""
-    src, dst = [], []
-    small: list[tuple[np.ndarray, np.ndarray]] = []  # buckets of two nodes, the most common kind, are compared together
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+
+def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (src, dst, sig of src, sig of dst): the pairs whose early hashes survive."""
+    for batch in batches:
+        if batch.num_rows:
+            row = np.arange(batch.num_rows)
+            kept, _, _ = surviving(_signatures(batch.column(2)), _signatures(batch.column(3)), row, row)
+            yield _edges(batch.column(0).to_numpy()[kept], batch.column(1).to_numpy()[kept])
+
 
-    def settle() -> None:
-        if small:
-            a, b = np.concatenate([n for n, _ in small]), np.concatenate([s for _, s in small])
-            i, j, _ = surviving(b, b, np.arange(0, len(a), 2), np.arange(1, len(a), 2))
-            src.extend(a[i].tolist())
-            dst.extend(a[j].tolist())
-            small.clear()
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, block, node, component, minor, sig) sorted by key and block: stars of the nodes whose early hashes survive.
 
+    Only pairs of different components, one of them a minor node, are compared.
+    """
     for group in _grouped(batches, 2):
-        nodes = group.column(2).to_numpy()
-        signatures = np.frombuffer(b"".join(group.column(3).to_pylist()), np.uint16).reshape(len(nodes), -1)
-        if len(nodes) == 2:
-            small.append((nodes, signatures))
-        elif len(nodes) > 2:
-            i, j, _ = surviving(signatures, signatures, *np.triu_indices(len(nodes), 1))
-            for x, y in _stars(len(nodes), i, j):
-                src.append(int(nodes[x]))
-                dst.append(int(nodes[y]))
-        if len(small) >= 4096:
-            settle()
-        if len(src) >= 65536:
-            yield _edges(src, dst)
-            src, dst = [], []
-    settle()
-    yield _edges(src, dst)
+        nodes, component = group.column(2).to_numpy(), group.column(3).to_numpy()
+        i, j = _wanted(component, np.array(group.column(4).to_pylist(), bool))
+        if len(i):
+            signatures = _signatures(group.column(5).combine_chunks())
+            i, j, _ = surviving(signatures, signatures, i, j)
+            stars = np.array(_stars(len(nodes), i, j), np.int64).reshape(-1, 2)
+            yield _edges(nodes[stars[:, 0]], nodes[stars[:, 1]])
     trim()
 
 
-def linked(left: np.ndarray, right: np.ndarray) -> bool:
-    """Whether two sets, as sorted distinct hashes, reach the threshold, in whole numbers."""
+def _wanted(component: np.ndarray, minor: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different components; one of them minor, if that is given."""
+    i, j = np.triu_indices(len(component), 1)
+    wanted = component[i] != component[j]
+    if minor is not None:
+        wanted &= minor[i] | minor[j]
+    return i[wanted], j[wanted]
+
+
+def word_shingles(text: str) -> set[tuple[bytes, ...]]:
+    """The shingles themselves, A-Z taken as a-z; a text of fewer words is one shingle."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes, both know ASCII only
+    return set(zip(*(words[k:] for k in range(WORDS)), strict=False)) if len(words) >= WORDS else {tuple(words)} if words else set()
+
+
+def linked(left: set, right: set) -> bool:
+    """Whether two sets reach the threshold, in whole numbers."""
     if SHARE[1] * min(len(left), len(right)) < SHARE[0] * max(len(left), len(right)):
         return False
-    both = np.concatenate([left, right])
-    both.sort(kind="stable")
-    same = int((both[1:] == both[:-1]).sum())
+    same = len(left & right)
     return SHARE[1] * same >= SHARE[0] * (len(left) + len(right) - same)
 
 
 def _verify(nodes: np.ndarray, texts: list[str], component: np.ndarray, minor: np.ndarray | None) -> Iterator[tuple[int, int]]:
     """A spanning forest of the exact links. ``component``: what is known to be connected; ``minor``: if given, one of a pair must be so."""
-    sets = list(shingle_sets(texts, WORDS))
-    signatures = np.stack([signature(x) for x in sets])
-    i, j = np.triu_indices(len(nodes), 1)
-    wanted = (component[i] != component[j]) & (True if minor is None else minor[i] | minor[j])
-    i, j, matches = surviving(signatures, signatures, i[wanted], j[wanted])
+    i, j = _wanted(component, minor)
+    if not len(i):
+        return
+    signatures = np.stack([signature(x) for x in shingle_sets(texts, WORDS)])
+    i, j, matches = surviving(signatures, signatures, i, j)
     names = {c: k for k, c in enumerate(dict.fromkeys(component.tolist()))}
-    of, parent = [names[c] for c in component.tolist()], list(range(len(names)))
+    of, parent, sets = [names[c] for c in component.tolist()], list(range(len(names))), {}
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -219,10 +231,15 @@ def _verify(nodes: np.ndarray, texts: list[str], component: np.ndarray, minor: n
             x = parent[x]
         return x
 
+    def shingles(x: int) -> set:
+        if x not in sets:
+            sets[x] = word_shingles(texts[x])
+        return sets[x]
+
     order = np.argsort(-matches, kind="stable")
     for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
         a, b = root(of[x]), root(of[y])
-        if a != b and linked(sets[x], sets[y]):
+        if a != b and linked(shingles(x), shingles(y)):
             parent[a] = b
             yield int(nodes[x]), int(nodes[y])
 
@@ -241,6 +258,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _edges(src, dst)
             src, dst = [], []
     yield _edges(src, dst)
+    trim()
 
 
 EDGE = "src long, dst long"
@@ -254,6 +272,43 @@ def _block(node: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(7), node), blocks)
 
 
+def _cells(rest: DataFrame, group: str) -> DataFrame:
+    """Rows (group, block, node, component, minor) in which every minor node meets every node of its group.
+
+    From (group, node, component, minor, wide, deep): a block (row, column) holds one of ``deep``
+    parts of the minor nodes and one of ``wide`` parts of all.
+    """
+    count = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    across = rest.select(group, "node", "component", "wide", F.explode(count("deep")).alias("row"), _block("node", F.col("wide")).alias("column"), F.lit(False).alias("minor"))
+    down = rest.filter("minor").select(group, "node", "component", "wide", _block("node", F.col("deep")).alias("row"), F.explode(count("wide")).alias("column"), F.lit(True).alias("minor"))
+    cells = across.unionByName(down).select(group, (F.col("row") * F.col("wide") + F.col("column")).alias("block"), "node", "component", "minor")
+    return cells.groupBy(group, "block", "node", "component").agg(F.max("minor").alias("minor"))
+
+
+def candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(src, dst): a forest of the pairs that share a band and whose early hashes survive; from (node, bands, sig)."""
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter(F.col("size") > 1)
+    bucketed = scratch.save(keys.join(shared, "key"), "bucketed")
+    early = nodes.select("node", F.substring("sig", 1, 2 * EARLY).alias("sig"))
+    pairs = bucketed.filter(F.col("node") != F.col("pivot")).select(F.col("node").alias("src"), F.col("pivot").alias("dst")).distinct()
+    pairs = pairs.join(early.withColumnsRenamed({"node": "src", "sig": "src_sig"}), "src").join(early.withColumnsRenamed({"node": "dst", "sig": "dst_sig"}), "dst")
+    stars = scratch.save(pairs.select("src", "dst", "src_sig", "dst_sig").mapInArrow(_survivors, EDGE), "stars")
+    components = scratch.save(connected_components(stars, scratch, "stars"), "star-components")
+
+    # what is outside its pivot's component meets the whole bucket
+    placed = bucketed.filter(F.col("size") > 2).join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    main = components.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
+    placed = placed.join(main, "pivot", "left").withColumn("minor", F.col("component") != F.coalesce("main", "pivot"))
+    placed = scratch.save(placed.select("key", "node", "component", "minor", "size"), "placed")
+    outside = placed.filter("minor").groupBy("key").agg(F.ceil(F.count("*") / BUCKET_BLOCK).alias("deep"))
+    rest = placed.join(outside, "key").withColumn("wide", F.ceil(F.col("size") / BUCKET_BLOCK))
+    cells = _cells(rest, "key").join(early, "node").select("key", "block", "node", "component", "minor", "sig")
+    more = scratch.save(_run(cells, ["key", "block"], _forest), "rest")
+    scratch.drop("bucketed", "placed", "star-components")
+    return stars.unionByName(more)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
@@ -262,22 +317,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     known = sketch.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     same = ["fp1", "fp2", "n_shingles"]
     sets = scratch.save(known.groupBy(*same).agg(F.min("doc_id").alias("node")), "sets")
-    nodes = scratch.save(known.join(sets.withColumnRenamed("node", "doc_id"), ["doc_id", *same], "left_semi").select(F.col("doc_id").alias("node"), "bands", "sig"), "nodes")
-
-    # buckets of at least two nodes, then stars of the pairs that survive the early hashes
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).filter(F.col("low") < F.col("high"))
-    bucketed = keys.join(shared.select("key", "size"), "key").withColumn("blocks", F.ceil(F.col("size") / BUCKET_BLOCK))
-    own = _block("node", F.col("blocks"))
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.least(own, k) * F.col("blocks") + F.greatest(own, k))
-    bucketed = bucketed.select("node", "key", F.explode(pair).alias("pair"))
-    with_sig = bucketed.join(nodes.select("node", F.substring("sig", 1, 2 * EARLY).alias("sig")), "node").select("key", "pair", "node", "sig")
-    forest = scratch.save(_run(with_sig, ["key", "pair"], _forest), "forest")
-    groups = scratch.save(connected_components(forest, scratch, "groups").select("node", F.col("component").alias("g")), "grouped")
+    nodes = scratch.save(known.join(sets.withColumnRenamed("node", "doc_id"), ["doc_id", *same], "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sig"), "nodes")
+    forest = scratch.save(candidates(nodes, scratch), "forest")
+    groups = scratch.save(connected_components(forest, scratch, "groups").select("node", F.col("component").alias("g")).join(nodes.select("node", "n_shingles"), "node"), "grouped")
 
     # exact links within blocks of a group; the nodes that most pairs led to stand in every block
-    sized = groups.join(groups.groupBy("g").agg(F.count("*").alias("size")), "g").withColumn("blocks", F.ceil(F.col("size") / GROUP_BLOCK))
-    sized = scratch.save(sized.select("g", "node", "blocks"), "sized")
+    blocks = F.ceil(F.greatest(F.count("*") / GROUP_BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES))
+    sized = scratch.save(groups.join(groups.groupBy("g").agg(blocks.alias("blocks")), "g").select("g", "node", "n_shingles", "blocks"), "sized")
     roots = forest.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("met")).join(sized.filter(F.col("blocks") > 1), "node")
     by_met = Window.partitionBy("g").orderBy(F.col("met").desc(), "node")
     pivots = roots.withColumn("place", F.row_number().over(by_met)).filter(F.col("place") <= PIVOTS)
@@ -294,21 +340,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     components = scratch.save(connected_components(links, scratch, "first"), "components")
 
     # groups of several blocks that are not one component yet: what is outside the largest one against all
-    large = sized.filter(F.col("blocks") > 1).join(components, "node", "left").select("g", "node", F.coalesce("component", "node").alias("component"))
-    counts = large.groupBy("g", "component").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("g").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("all"), F.count("*").alias("parts"), F.max("n").alias("most")).filter(F.col("parts") > 1)
-    rest = large.join(largest.select("g", "main", F.ceil(F.col("all") / GROUP_BLOCK).alias("wide"), F.ceil((F.col("all") - F.col("most")) / GROUP_BLOCK).alias("deep")), "g")
-    rest = rest.withColumn("minor", F.col("component") != F.col("main"))
-    count = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    across = rest.select("g", "node", "component", "minor", "wide", F.explode(count("deep")).alias("row"), _block("node", F.col("wide")).alias("column"))
-    down = rest.filter("minor").select("g", "node", "component", "minor", "wide", _block("node", F.col("deep")).alias("row"), F.explode(count("wide")).alias("column"))
-    # in a block (row, column) the row's nodes are the minor ones, all others are only met
-    cells = across.select("g", (F.col("row") * F.col("wide") + F.col("column")).alias("block"), "node", "component", F.lit(False).alias("minor"))
-    cells = cells.unionByName(down.select("g", (F.col("row") * F.col("wide") + F.col("column")).alias("block"), "node", "component", F.lit(True).alias("minor")))
-    cells = cells.groupBy("g", "block", "node", "component").agg(F.max("minor").alias("minor"))
+    large = sized.filter(F.col("blocks") > 1).join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counts = large.groupBy("g", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    largest = counts.groupBy("g").agg(F.max(F.struct("n", "component", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("parts")).filter(F.col("parts") > 1)
+    parts = lambda n, s: F.ceil(F.greatest(n / GROUP_BLOCK, s / BLOCK_SHINGLES))
+    wide, deep = parts(F.col("n"), F.col("s")), parts(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s"))
+    rest = large.select("g", "node", "component").join(largest.select("g", F.col("main.component").alias("main"), wide.alias("wide"), deep.alias("deep")), "g")
+    cells = _cells(rest.withColumn("minor", F.col("component") != F.col("main")), "g")
     more = scratch.save(_run(cells.join(written, "node").select("g", "block", "node", "component", "minor", "text"), ["g", "block"], _exact), "more")
     if not more.isEmpty():
         components = scratch.save(connected_components(links.unionByName(more), scratch, "second"), "all-components")
+    scratch.drop("nodes", "stars", "rest", "forest", "grouped", "sized", "written", "links", "more")
 
     members = sketch.select("doc_id", *same).join(sets, same, "left").withColumn("node", F.coalesce("node", "doc_id"))
     joined = members.join(components, "node", "left").withColumn("component_id", F.coalesce("component", "node"))

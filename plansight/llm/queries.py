@@ -22,8 +22,8 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = read(spark, sf_dir, "documents"), fold("doc_id", 3) == 1
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), learn=~held_out)
-    scored = docs.select("doc_id", toxicity.toxicity(model, "text").alias("score"))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    judged = docs.select("doc_id", toxicity.judged(model, "text").alias("j"))
+    return judged.select("doc_id", held_out.alias("held_out"), F.col("j.score").alias("score"), (F.col("j.score") >= 0.7).cast("int").alias("predicted"), F.col("j.offending").alias("offending"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

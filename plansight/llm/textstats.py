@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from plansight.llm.common import _POWERS, _SPACE, _VALUE, mix64, window_hashes, word_hashes
+from plansight.llm.common import _SPACE, mix64, span_hashes, window_hashes, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -89,12 +89,8 @@ def measure(data: np.ndarray, bounds: np.ndarray) -> tuple[Texts, Lines]:
     sums = lambda mask: (np.add.reduceat(mask.astype(np.int32), line_starts) if lines else np.zeros(0, np.int32))[full]
     line_owner = text_of[line_starts] if lines else np.zeros(0, np.int64)
     # a line's hash is over its bytes without the line feed
-    up, down = _POWERS.upto(n + 1)
-    running = np.zeros(n + 1, np.uint64)
-    np.cumsum(np.where(breaks, np.uint64(0), _VALUE[data]) * up[:n], out=running[1:])
     line_ends = np.append(line_starts[1:], n)
-    length = (line_ends - line_starts - (breaks[line_ends - 1] if lines else 0)).astype(np.uint64)
-    line_hash = mix64((running[line_ends] - running[line_starts]) * down[line_starts] + mix64(length))
+    line_hash = span_hashes(data, line_starts, line_ends - breaks[line_ends - 1]) if lines else np.zeros(0, np.uint64)
     repeated = _again((line_hash ^ salt[line_owner])[full]) if lines else np.zeros(0, bool)
 
     latin_upper = np.zeros(n, bool)

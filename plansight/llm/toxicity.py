@@ -5,6 +5,9 @@ noisy-or of its sentences: 1 minus the product of (1 - score). Only documents ha
 sentence model is fitted through the noisy-or, so it learns which sentences offend, and they
 can be located afterwards.
 
+A sentence without weighted features has no part in either, nor has one that scores below
+LEAST_SENTENCE in scoring, so length alone does not raise a score.
+
 Defined results: null and empty texts score 0; texts of any length are scored whole; equal
 texts score alike; without documents of both labels every score is 0; further columns pass
 through, as scoring is a column expression.
@@ -28,6 +31,8 @@ from plansight.llm.samples import labelled
 
 #: Most training documents of each label; documents in which a feature must stand; z-score from which a feature gets a weight.
 PER_CLASS, LEAST_DOCS, LEAST_Z = 2500, 3, 3.0
+#: Score below which a sentence counts as clean, so that the many sentences of a long clean text do not add up.
+LEAST_SENTENCE = 0.1
 #: A word's features are itself and its beginnings of these lengths, so that inflected forms share weight.
 BEGINNINGS = (3, 4, 5, 6)
 #: Words whose weighted features a worker remembers; it forgets all when there are more.
@@ -76,33 +81,42 @@ class SentenceModel:
                 self.memory[token] = found
         return found
 
-    def score(self, text: str | None) -> float:
-        """The noisy-or of the sentence scores."""
-        if not text or not math.isfinite(self.bias):
+    def sentence(self, held: set[str]) -> float:
+        """The score of a sentence from its weighted features; it has none without any, or below LEAST_SENTENCE."""
+        if not held or not math.isfinite(self.bias):
             return 0.0
-        weights, weighted, plain, log_clean, held, some = self.weights, self.weighted, 0, 0.0, set(), False
-        for token in [*_TOKEN.findall(text), "."]:
+        p = 1 / (1 + math.exp(-max(-700.0, self.bias + sum(self.weights[f] for f in held))))
+        return p if p >= LEAST_SENTENCE else 0.0
+
+    def sentence_scores(self, text: str | None) -> list[float]:
+        """The scores above 0, in the order of the sentences."""
+        weighted, out, held = self.weighted, [], set()
+        for token in [*_TOKEN.findall(text or ""), "."]:
             if token[0] in ".!?\n":
                 if held:
-                    log_clean -= np.logaddexp(0.0, self.bias + sum(weights[f] for f in held))
+                    out.append(self.sentence(held))
                     held = set()
-                else:
-                    plain += some
-                some = False
             else:
-                some = True
                 held.update(weighted(token))
-        return float(-math.expm1(log_clean - plain * np.logaddexp(0.0, self.bias)))
+        return [p for p in out if p]
+
+    def score(self, text: str | None) -> float:
+        """The noisy-or of the sentence scores."""
+        return _noisy_or(self.sentence_scores(text))
 
     def offending(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
         """Start, end and score of the sentences that score ``least`` or more."""
-        out = []
-        for start, end, words in sentences(text):
-            s = self.bias + sum(self.weights[f] for f in {f for w in words for f in self.weighted(w)})
-            p = 1 / (1 + math.exp(-max(-700.0, s)))
-            if p >= least:
-                out.append((start, end, p))
-        return out
+        found = ((start, end, self.sentence({f for w in words for f in self.weighted(w)})) for start, end, words in sentences(text))
+        return [x for x in found if x[2] >= max(least, LEAST_SENTENCE)]
+
+    def judged(self, text: str | None, least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
+        """Score and offending sentences; a text's sentences are located only if one offends."""
+        scores = self.sentence_scores(text)
+        return _noisy_or(scores), self.offending(text, least) if any(p >= least for p in scores) else []
+
+
+def _noisy_or(scores: list[float]) -> float:
+    return -math.expm1(sum(math.log1p(-min(p, 1 - 1e-16)) for p in scores)) if scores else 0.0
 
 
 def fit(sample: pd.DataFrame, steps: int = 400, rate: float = 0.1, ridge: float = 2e-3) -> SentenceModel:
@@ -125,7 +139,7 @@ def fit(sample: pd.DataFrame, steps: int = 400, rate: float = 0.1, ridge: float
                 chosen.append(word)
     index = {word: i for i, word in enumerate(sorted(chosen))}
     del seen
-    rows, columns, doc_of, plain = [], [], [], np.zeros(len(sample))
+    rows, columns, doc_of = [], [], []
     for d, text in enumerate(sample["text"]):
         for _, _, words in sentences(text):
             found = [index[f] for f in {f for w in words for f in word_features(w)} if f in index]
@@ -133,8 +147,6 @@ def fit(sample: pd.DataFrame, steps: int = 400, rate: float = 0.1, ridge: float
                 rows += [len(doc_of)] * len(found)
                 columns += found
                 doc_of.append(d)
-            else:
-                plain[d] += 1
     rows, columns, doc_of = (np.array(x, np.int64) for x in (rows, columns, doc_of))
     share = sample["share"].to_numpy() / sample["share"].sum()
     w, bias = np.zeros(len(index) + 1), np.array([-6.0])
@@ -142,12 +154,12 @@ def fit(sample: pd.DataFrame, steps: int = 400, rate: float = 0.1, ridge: float
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         s = w[-1] + np.bincount(rows, w[columns], minlength=len(doc_of))
-        log_clean = -np.bincount(doc_of, np.logaddexp(0, s), minlength=len(sample)) - plain * np.logaddexp(0, w[-1])
+        log_clean = -np.bincount(doc_of, np.logaddexp(0, s), minlength=len(sample))
         clean = np.exp(np.minimum(log_clean, -1e-12))
         pull = share * np.where(y == 1, -clean / (1 - clean), 1.0)
-        p, p_plain = 1 / (1 + np.exp(-np.clip(s, -500, 500))), 1 / (1 + math.exp(-w[-1]))
+        p = 1 / (1 + np.exp(-np.clip(s, -500, 500)))
         at = pull[doc_of] * p
-        grad = np.append(np.bincount(columns, at[rows], minlength=len(index)), at.sum() + (pull * plain).sum() * p_plain)
+        grad = np.append(np.bincount(columns, at[rows], minlength=len(index)), at.sum())
         grad[:-1] += ridge * w[:-1] / max(1, len(index))
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
@@ -171,11 +183,18 @@ def toxicity(model: SentenceModel, text: Column | str) -> Column:
     return score(text)
 
 
-def offences(model: SentenceModel, text: Column | str, least: float = 0.5) -> Column:
-    """The offending sentences as an array of (start, end, score), in code points."""
+JUDGED = "struct<score:double,offending:array<struct<start:long,end:long,score:double>>>"
+
 
-    @F.pandas_udf("array<struct<start:long,end:long,score:double>>")
-    def locate(batch: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b, "score": p} for a, b, p in model.offending(x, least)] for x in batch], dtype=object)
+def judged(model: SentenceModel, text: Column | str, least: float = 0.5) -> Column:
+    """The documents' scores and their offending sentences, in code points, by one pass over the texts."""
+
+    @F.pandas_udf(JUDGED)
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [model.judged(x, least) for x in batch]
+            located = [[{"start": a, "end": b, "score": p} for a, b, p in sentences] for _, sentences in found]
+            yield pd.DataFrame({"score": pd.Series([score for score, _ in found], dtype="float64"), "offending": pd.Series(located, dtype=object)})
+        trim()
 
-    return locate(text)
+    return judge(text)
