@@ -1,4 +1,3 @@
-import hashlib
 import re
 from collections import Counter
 
@@ -115,8 +114,8 @@ def test_toxicity_learns_sentences(spark, odd):
 def test_noisy_or_of_sentences():
     model = toxicity.SentenceModel({"bad": 3.0}, -2.0)
     p = 1 / (1 + np.exp(-1.0))
-    q = 1 / (1 + np.exp(2.0))
-    assert model.score("bad day. fine day.\nbad") == pytest.approx(1 - (1 - p) ** 2 * (1 - q))
+    # a sentence without weighted words has no part in it
+    assert model.score("bad day. fine day.\nbad") == pytest.approx(1 - (1 - p) ** 2)
 
 
 def test_quality_ranks(spark, odd):
@@ -193,7 +192,3 @@ def test_mixing_targets_and_copies(spark):
         assert taken[source] == pytest.approx(target, rel=0.15, abs=120)
     assert sorted(mixing.mix(docs).select("doc_id", "__mix_copies").collect()) == sorted((r["doc_id"], r["__mix_copies"]) for r in mixed)
     assert mixing.mix(docs.limit(0)).count() == 0
-
-
-def test_digest_of_ids():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
