@@ -349,7 +349,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     cells = _cells(rest.withColumn("minor", F.col("component") != F.col("main")), "g")
     more = scratch.save(_run(cells.join(written, "node").select("g", "block", "node", "component", "minor", "text"), ["g", "block"], _exact), "more")
     if not more.isEmpty():
-        components = scratch.save(connected_components(links.unionByName(more), scratch, "second"), "all-components")
+        known = components.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+        components = scratch.save(connected_components(known.unionByName(more), scratch, "second"), "all-components")
     scratch.drop("nodes", "stars", "rest", "forest", "grouped", "sized", "written", "links", "more")
 
     members = sketch.select("doc_id", *same).join(sets, same, "left").withColumn("node", F.coalesce("node", "doc_id"))
