@@ -130,6 +130,27 @@ def test_quality_ranks(spark, odd):
     assert {r[0] for r in odd.select(quality.quality(none, "text")).collect()} == {0.5}
 
 
+def test_quality_learns_from_all_labelled_documents(spark):
+    """Of 9,000 good documents all but a few are plain; the model and its threshold follow every one, and repeat."""
+    def text(k):
+        return f"A calm text {k} with several different words about a river and its banks." if k % 9 else f"12 34 56 {k} 78 90 11 and {k} more figures, of 1999"
+
+    rows = [(k, text(k), 1) for k in range(9000)] + [(9000 + k, f"BUY!! ### $$$ {k} " * 5, 0) for k in range(300)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    learnt = quality._learnt(docs, labels, F.lit(True), "quality")
+    counts = {r["label"]: r["count"] for r in learnt.groupBy("label").count().collect()}
+    assert counts == {0: 300, 1: 9000}
+    grouped = quality._grouped(learnt, counts).select(F.explode(F.arrays_zip("label", "features")).alias("x"))
+    assert grouped.filter("x.label = 1").count() == 9000
+    model = quality.train(docs, labels)
+    again = quality.train(docs.repartition(7), labels)
+    assert np.array_equal(model.weights, again.weights) and model.threshold == again.threshold
+    scored = docs.join(labels, "doc_id").select("quality", quality.quality(model, "text").alias("score")).collect()
+    assert all((r["score"] >= 0.3) == (r["quality"] == 1) for r in scored)
+    values = spark.createDataFrame([(float(x),) for x in [5, 1, 1, -3, 2, 2, 2, 1e300]], "value double")
+    assert [quality.kth(values, k) for k in (1, 2, 6, 7, 8)] == [(-3, 1), (1, 1), (2, 5), (5, 1e300), (1e300, 1e300)]
+
+
 def test_language(spark, odd):
     rng = np.random.default_rng(2)
     say = lambda syllables: " ".join("".join(rng.choice(syllables, 2)) for _ in range(20))
