@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plansight.sources.scratch import ease
 
 #: Most bytes of a sample's texts. A text that does not fit is left out whole.
 MOST_BYTES = 64 << 20
@@ -35,6 +36,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, lea
     # a label's first rows are kept by every task, so no task sorts all rows of a label
     first = lambda label: usable.filter(F.col("label") == label).orderBy("place", "doc_id").limit(per_class)
     found = texts_of(docs, first(0).unionByName(first(1)))
+    ease(docs.sparkSession._jvm)
     found = found.sort_values(["doc_id", "text"]).reset_index(drop=True)
     taken = found["label"].value_counts().to_dict()
     found["share"] = found["label"].map(lambda x: totals[x] / taken[x]).astype(float)

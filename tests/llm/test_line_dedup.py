@@ -52,6 +52,22 @@ def test_lines_with_one_edited_word_leave(spark, tmp_path):
         assert got[k] == line and got[len(lines) + k] == ("" if near else copy), (line, copy)
 
 
+def test_spread_edits_leave(spark):
+    """Letters changed all over a line, three to five in a hundred: of 300 copies 285 and more leave, and what leaves is its own line's."""
+    pick = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(300):
+        line = " ".join("".join(pick.choice(letters) for _ in range(pick.randint(2, 9))) for _ in range((8, 12, 20, 40, 80)[k % 5]))
+        copy = list(line)
+        for at in pick.sample([i for i, c in enumerate(line) if c != " "], max(1, len(line) * (3, 5)[k % 2] // 100)):
+            copy[at] = pick.choice(letters)
+        rows += [(2 * k, line), (2 * k + 1, "".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc"], r["kept_doc"]) for r in line_dedup.repeated_lines(docs, least_words=1).collect()}
+    assert found <= {(2 * k + 1, 2 * k) for k in range(300)} and len(found) >= 285, len(found)
+
+
 def blocks_in_common(a, b, blocks):
     edges = [63 * k // blocks for k in range(blocks + 1)]
     return sum(not (a ^ b) >> low & ((1 << (high - low)) - 1) for low, high in zip(edges, edges[1:], strict=False))

@@ -96,3 +96,19 @@ def test_whole_pipeline(spark):
     rows = got.collect()
     assert rows and all(r["decodes"] for r in rows)
     assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_driver_gives_heap_back():
+    """Only a heap of more than half its limit is collected, so that the driver's memory does not creep up over a chain of stages."""
+    from types import SimpleNamespace
+
+    from plansight.sources.scratch import ease
+
+    def collections(total, most):
+        calls = []
+        runtime = SimpleNamespace(totalMemory=lambda: total, maxMemory=lambda: most)
+        lang = SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: runtime), System=SimpleNamespace(gc=lambda: calls.append(1)))
+        ease(SimpleNamespace(java=SimpleNamespace(lang=lang)))
+        return len(calls)
+
+    assert collections(400, 750) == 1 and collections(300, 750) == 0
