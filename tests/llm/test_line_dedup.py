@@ -140,3 +140,27 @@ def test_links_against_all_pairs(spark):
         parent[root(b)] = root(a)
     at = {x: k for k, x in enumerate(texts)}
     assert all(root(at[plain[place]]) == root(at[plain[stays]]) for place, stays in kept.items())
+
+
+def test_every_copy_within_the_edit_similarity_leaves(spark, monkeypatch):
+    """As many edits as a link may have, evenly spread or anywhere, in lines of 9 to 900 characters: all copies leave, in one round or in many."""
+    pick = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(240):
+        size = pick.choice((9, 10, 11, 19, 20, 35, 60, 89, 90, 99, 150, 260, 530, 900))
+        line = "".join(pick.choice(letters) if at % 7 else pick.choice(letters + " ") for at in range(size)).strip().replace("  ", "x")
+        most = max(len(line) // 10, 1)
+        places = [len(line) * j // most + len(line) // most // 2 for j in range(most)] if k % 2 else pick.sample(range(len(line)), most)
+        copy = list(line)
+        for at in places:
+            copy[at] = ("", "1", copy[at] + "2")[pick.choice((0, 1, 2) if k % 3 else (1,))]
+        copy = " ".join("".join(copy).split())
+        if distance(line, copy) <= max(len(line), len(copy)) // 10:
+            rows += [(2 * k, line), (2 * k + 1, copy)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(rows) >= 400
+    for size in (line_dedup.ROUND, 2500):
+        monkeypatch.setattr(line_dedup, "ROUND", size)
+        found = {(r["doc"], r["kept_doc"]) for r in line_dedup.repeated_lines(docs, least_words=1).collect()}
+        assert found == {(k, k - 1) for k, _ in rows if k % 2}
