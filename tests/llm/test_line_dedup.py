@@ -164,3 +164,15 @@ def test_every_copy_within_the_edit_similarity_leaves(spark, monkeypatch):
         monkeypatch.setattr(line_dedup, "ROUND", size)
         found = {(r["doc"], r["kept_doc"]) for r in line_dedup.repeated_lines(docs, least_words=1).collect()}
         assert found == {(k, k - 1) for k, _ in rows if k % 2}
+
+
+def test_exact_search_looks_a_line_up_at_few_places(spark):
+    """A line is looked up at half of its characters at most, and rounds that share a class of length share its rows."""
+    from pyspark.sql import functions as F
+
+    pick = random.Random(23)
+    lines = [(k, "".join(pick.choice("abcdefgh ijklmnop") for _ in range(300)), 300, None) for k in range(100)]
+    lines = spark.createDataFrame(lines, "node long, plain string, size int, component long")
+    rows = lambda low, high: line_dedup._beginnings(lines, F.lit(True), low, high, False).count()
+    assert 100 * 300 // 5 < rows(0, 1 << 30) <= 100 * 300 // 2
+    assert sum(rows(low, high) for low, high in [(0, 2), (2, 3), (3, 1 << 30)]) == rows(0, 1 << 30)
