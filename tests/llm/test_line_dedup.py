@@ -176,3 +176,34 @@ def test_exact_search_looks_a_line_up_at_few_places(spark):
     rows = lambda low, high: line_dedup._beginnings(lines, F.lit(True), low, high, False).count()
     assert 100 * 300 // 5 < rows(0, 1 << 30) <= 100 * 300 // 2
     assert sum(rows(low, high) for low, high in [(0, 2), (2, 3), (3, 1 << 30)]) == rows(0, 1 << 30)
+
+
+def test_common_grams_bring_few_lines_together(spark, monkeypatch):
+    """Lines of a few syllables meet by their rarer grams or by whole stretches: a fifth of the meetings by chance; what is found does not depend on which grams are common."""
+    from pyspark.sql import functions as F
+
+    pick = random.Random(29)
+    syllables = ["the", "tion", "re", "er", "on", "ing", "an", "at"]
+    word = lambda: "".join(pick.choice(syllables) for _ in range(pick.randint(1, 3)))
+    texts = [" ".join(word() for _ in range(45)) for _ in range(300)]
+    lines = spark.createDataFrame([(k, x, len(x), None) for k, x in enumerate(texts)], "node long, plain string, size int, component long")
+    common = line_dedup._common_grams(lines)
+
+    def meetings(common):
+        sides = [way(lines, F.lit(True), 0, 1 << 30, False, common).groupBy("key").count() for way in (line_dedup._stretches, line_dedup._beginnings)]
+        return sides[0].join(sides[1].withColumnRenamed("count", "m"), "key").agg(F.sum(F.col("count") * F.col("m"))).first()[0]
+
+    assert meetings(common) <= meetings(b"") / 5
+    rows = []
+    for k, text in enumerate(texts[:100]):
+        copy = list(text)
+        for at in pick.sample(range(len(text)), len(text) // 10):
+            copy[at] = "1"
+        rows += [(2 * k, text), (2 * k + 1, " ".join("".join(copy).split()))]
+    near = {(2 * k + 1, 2 * k) for k, (text, (_, copy)) in enumerate(zip(texts[:100], rows[1::2], strict=True)) if distance(text, copy) <= max(len(text), len(copy)) // 10}
+    assert len(near) >= 95
+    for count in (30, line_dedup.COMMON):
+        monkeypatch.setattr(line_dedup, "COMMON", count)
+        found = {(r["doc"], r["kept_doc"]) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), least_words=1).collect()}
+        assert near <= found, (count, len(near - found))
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") != "8000"
